@@ -1,0 +1,25 @@
+import public_tokenizers
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_p6_ids_against_the_other_library(spark):
+    got = {r.doc_id: list(r.ids) for r in entry.queries()["p6_ids"](spark, SF).collect()}
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    other.encode_special_tokens = True
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        assert got[r.doc_id] == (other.encode(r.text, add_special_tokens=False).ids if r.text else [])
+
+
+def test_empty_null_and_special_looking_texts(spark):
+    from tidemark.llm.tokenizer import token_counts, token_ids
+
+    docs = spark.createDataFrame([(1, "a", ""), (2, "a", None), (3, None, "<|endoftext|>"), (4, "a", "  \n é")], "doc_id long, source string, text string")
+    got = {r.doc_id: list(r.ids) for r in token_ids(docs).collect()}
+    assert got[1] == [] and got[2] == [] and 50256 not in got[3] and len(got[3]) > 1
+    assert {r.doc_id: r.n_tokens for r in token_counts(docs).collect()} == {k: len(v) for k, v in got.items()}
