@@ -102,14 +102,19 @@ def with_commit(changes: DataFrame, txns: DataFrame | None = None) -> DataFrame:
     return known.unionByName(found)
 
 
+def _base() -> Column:
+    """POSITION_BASE as a column; one beyond a long, so it is passed as text."""
+    return F.lit(str(POSITION_BASE)).cast("decimal(19,0)")
+
+
 def position(commit_lsn: Column, lsn: Column) -> Column:
     """Place in an instance's log order (commit_lsn, then lsn) as one exact number.
 
     A transaction whose end is unknown has not committed yet, so it is placed after every known position.
     """
     commit = F.coalesce(commit_lsn, F.lit(POSITION_BASE - 1)).cast("decimal(19,0)")
-    return (commit * F.lit(POSITION_BASE).cast("decimal(19,0)") + F.coalesce(lsn, F.lit(0)).cast("decimal(19,0)")).cast(POSITION_TYPE)
+    return (commit * _base() + F.coalesce(lsn, F.lit(0)).cast("decimal(19,0)")).cast(POSITION_TYPE)
 
 
 def position_lsn(pos: Column) -> Column:
-    return (pos % F.lit(POSITION_BASE).cast("decimal(19,0)")).cast("long")
+    return (pos % _base()).cast("long")

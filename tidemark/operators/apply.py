@@ -209,6 +209,9 @@ def _spans(borders: DataFrame, again: DataFrame) -> DataFrame:
     next_key holds the row after until; null where the row ends there. For keys that were only created again, the
     single span after their last DELETE.
     """
+    # one statement can move a row away from a key and another to it: what was there goes first, one border for both
+    any_of = [F.max(F.when(F.col("kind") == k, F.lit(k))) for k in "ODN"]
+    borders = borders.groupBy(*KEY, "pos").agg(F.coalesce(*any_of).alias("kind"), F.max("to_key").alias("to_key"))
     cut = borders.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "to_key"))).alias("b"))
     none = F.lit(None).cast("string")
     first = F.struct(F.lit(_START).cast(POSITION_TYPE).alias("start"))

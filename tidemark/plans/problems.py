@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import dedup, incremental, skew
+from tidemark.operators import apply, dedup, incremental, skew
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply.apply_changes(table(spark, sf_dir, "changes"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = incremental.new_messages(table(spark, sf_dir, "changes"), table(spark, sf_dir, "checkpoint_files"))
     return found.select("seq")
@@ -35,6 +39,7 @@ def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_key_stats": p3_key_stats,
