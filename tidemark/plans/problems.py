@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import apply, dedup, incremental, skew
+from tidemark.operators import apply, dedup, incremental, schema_drift, skew
+from tidemark.session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,15 @@ def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.deduplicated(table(spark, sf_dir, "changes"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.schema_changes(written(schema_drift.cells(table(spark, sf_dir, "raw_feed")), "cells"))
+
+
+def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = written(schema_drift.cells(table(spark, sf_dir, "raw_feed")), "cells")
+    return schema_drift.consistent_table(cells, schema_drift.schema_changes(cells))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -45,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_key_stats": p3_key_stats,
     "p4_found": p4_found,
     "p4_kept": p4_kept,
+    "p5_found": p5_found,
+    "p5_table": p5_table,
 }
 
 _ROW_KEY = """coalesce(array_to_string(list_transform(key_names, lambda k:
