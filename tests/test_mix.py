@@ -1,0 +1,16 @@
+import __spark_entry__ as entry
+
+
+def test_p7_mix_reaches_the_shares(spark):
+    sf = "/root/testdata/sf0.01"
+    report = {r.source: r for r in entry.queries()["p7_report"](spark, sf).collect()}
+    targets = {r.source: r for r in spark.read.parquet(f"{sf}/mix_targets.parquet").collect()}
+    used = entry.queries()["p7_mix"](spark, sf).collect()
+    assert set(report) == set(targets) and len({r.doc_id for r in used}) == len(used)
+    assert all(0 < r.repeats <= targets[r.source].max_repeats for r in used)
+    assert report["radio_scripts"].tokens == 0
+    live = sum(r.target_share for r in report.values() if r.tokens)
+    for r in report.values():
+        assert r.tokens == sum(u.n_tokens * u.repeats for u in used if u.source == r.source)
+        if r.tokens:
+            assert abs(r.actual_share - r.target_share / live) < 0.02
