@@ -17,6 +17,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, sf_dir, "documents"))
 
 
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.decoded(tokenizer.token_ids(table(spark, sf_dir, "documents")))
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
@@ -35,11 +39,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
+    "p6_decoded": p6_decoded,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_shares": p8_shares,
 }
 
-#: The tokenizer has no SQL twin; tests/ holds it against the same vocabulary in another library.
-SQL: dict[str, str] = {}
+#: Encoding has no SQL twin, its round trip has; tests/llm holds the ids against the same vocabulary in another library.
+SQL: dict[str, str] = {"p6_decoded": "select doc_id, coalesce(text, '') as text from documents"}
