@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import apply, dedup, incremental, schema_drift, skew
-from tidemark.session import written
+from tidemark.session import shared_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,28 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("seq")
 
 
+class _Stop(Exception):
+    pass
+
+
+def p2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that runs leave in a sink: one stopped before its commit, its replay, and one with nothing new."""
+    changes, files = table(spark, sf_dir, "changes"), table(spark, sf_dir, "checkpoint_files")
+    sink = incremental.IncrementalSink(spark, shared_path(spark, "sink"), ["action", "after_image"])
+
+    def stop(step: str) -> None:
+        if step == "commit":
+            raise _Stop
+
+    try:
+        sink.run(changes, files, stop)
+    except _Stop:
+        pass
+    sink.run(changes, files)
+    sink.run(changes, files)
+    return sink.records().select("seq", "instance_name", "lsn", "schema_name", "table_name", "row_key", "action", "after_image")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew.heavy_keys(table(spark, sf_dir, "changes"))
 
@@ -51,6 +73,7 @@ def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p2_runs": p2_runs,
     "p3_found": p3_found,
     "p3_key_stats": p3_key_stats,
     "p4_found": p4_found,
@@ -67,9 +90,7 @@ _MESSAGES = f"""messages as (
         case when action = 'COMMIT' then '' else {_ROW_KEY} end as row_key
     from changes)"""
 
-SQL: dict[str, str] = {
-    "p2_found": f"""
-with usable as (
+_NEW = f"""usable as (
     select source_type, instance_name, try_cast(json_extract_string(checkpoint_data, '$.lsn') as bigint) as lsn,
         case when updated_at < 100000000000 then updated_at * 1000000 when updated_at < 100000000000000 then updated_at * 1000 else updated_at end as moment
     from checkpoint_files
@@ -77,19 +98,24 @@ with usable as (
         and json_type(checkpoint_data) = 'OBJECT' and regexp_full_match(json_extract_string(checkpoint_data, '$.lsn'), '[0-9]+')),
 force as (select source_type, instance_name, max_by(lsn, row(moment, lsn)) as reached from usable where lsn > 0 group by all),
 txns as (select instance_name, txn_id, max(commit_lsn) as ended from changes group by all),
-{_MESSAGES}
-select min(m.seq) as seq from messages m join txns t on m.instance_name = t.instance_name and m.txn_id = t.txn_id
+{_MESSAGES},
+fresh as (select min(m.seq) as seq, m.instance_name, m.lsn, m.s_name, m.t_name, m.row_key from messages m join txns t on m.instance_name = t.instance_name and m.txn_id = t.txn_id
     left join force f on f.source_type = m.source_type and f.instance_name = m.instance_name
 where m.t_name <> '' and (f.reached is null or t.ended is null or t.ended > f.reached)
-group by m.instance_name, m.lsn, m.s_name, m.t_name, m.row_key""",
+group by m.instance_name, m.lsn, m.s_name, m.t_name, m.row_key)"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"with {_NEW} select seq from fresh",
+    "p2_runs": f"""with {_NEW}
+select f.seq, f.instance_name, f.lsn, f.s_name as schema_name, f.t_name as table_name, f.row_key, c.action, c.after_image from fresh f join changes c using (seq)""",
     "p3_found": f"""
 with keyed as (select schema_name, table_name, {_ROW_KEY} as row_key from changes
     where action in ('INSERT', 'UPDATE', 'DELETE') and len(key_names) > 0)
 select schema_name, table_name, row_key from keyed group by all having count(*) >= 0.02 * (select count(*) from keyed)""",
     "p3_key_stats": f"""
-with keyed as (select schema_name, table_name, {_ROW_KEY} as row_key, coalesce(lsn, -1) as lsn, seq, action from changes
+with keyed as (select instance_name, schema_name, table_name, {_ROW_KEY} as row_key, coalesce(lsn, -1) as lsn, seq, action from changes
     where action in ('INSERT', 'UPDATE', 'DELETE') and len(key_names) > 0)
-select schema_name, table_name, row_key, count(*) as n, max(lsn) as last_lsn, max_by(action, row(lsn, seq)) as last_action
+select instance_name, schema_name, table_name, row_key, count(*) as n, max(lsn) as last_lsn, max_by(action, row(lsn, seq)) as last_action
 from keyed group by all""",
     "p4_found": f"""
 with {_MESSAGES}

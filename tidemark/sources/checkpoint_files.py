@@ -20,7 +20,8 @@ def checkpoint_lsn(text: Column) -> Column:
     """The positive whole ``lsn`` of a JSON object, quoted or not; null for anything else, damaged text included."""
     whole = F.trim(text)
     object_text = F.when(whole.startswith("{") & whole.endswith("}"), whole)
-    found = F.try_element_at(F.from_json(object_text, "map<string,string>"), F.lit("lsn"))
+    strict = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false", "allowComments": "false"}
+    found = F.try_element_at(F.from_json(object_text, "map<string,string>", strict), F.lit("lsn"))
     lsn = F.when(found.rlike("^[0-9]{1,19}$"), found.try_cast("long"))
     return F.when(lsn > 0, lsn)
 
