@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokenizer import token_counts
-from tidemark.session import small, written
+from tidemark.session import ship, small, written
 
 SEED = 42
 #: The least weight of a document, so that every key is finite.
@@ -60,6 +60,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = SEED, weight: Colu
     for itself. weight is a column of documents, by default its quality. Empty and null texts have no tokens and are
     left out. A named source without tokens is in the report with 0. Empty tables give empty results.
     """
+    ship(documents.sparkSession)
     named = targets.filter(F.col("source").isNotNull()).dropDuplicates(["source"])
     n_named = named.count()
     slim = documents.withColumn("__weight", quality(documents) if weight is None else weight)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.pretokens import boundaries
+from tidemark.session import ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Distinct slices a worker remembers, and the longest one that it does; only a matter of speed.
@@ -172,6 +173,7 @@ def token_ids(documents: DataFrame, path: str | None = None, offsets: bool = Fal
 
     offsets holds the place of each id's first byte in the UTF-8 text. Other columns of documents play no part.
     """
+    ship(documents.sparkSession)
     path = path or vocabulary_path()
     names = ["doc_id", "ids", "offsets"][: 2 + offsets]
 
@@ -189,6 +191,7 @@ def token_ids(documents: DataFrame, path: str | None = None, offsets: bool = Fal
 
 def token_counts(documents: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
     """The columns keep of documents and n_tokens, the length of token_ids; one row for each row of documents."""
+    ship(documents.sparkSession)
     path = path or vocabulary_path()
     slim = documents.select(*keep, F.col("text").cast("string").alias("__text"))
     kind = slim.select(*keep, F.lit(0).cast("long").alias("n_tokens")).schema
@@ -204,6 +207,7 @@ def token_counts(documents: DataFrame, keep: list[str], path: str | None = None)
 
 def decoded(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) from (doc_id, ids): the exact inverse of token_ids, null ids as empty ones."""
+    ship(encoded.sparkSession)
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
