@@ -10,43 +10,60 @@ The state of a row is ABSENT or a set of columns. Events apply in log order and
 
 Newest first
 ------------
-Change batches, ranges of each instance's log, are processed backwards. A batch is folded to one record per key
-before anything else: per column the newest position at which it is listed, the newest DELETE, the first and last
-INSERT. Keys that a newer batch has resolved with a tombstone are anti-joined away; of the others the first-seen
-images are recorded. Base rows whose key no change names are appended at the end as they are.
-
-The newest position of a column does not depend on whether the row existed then: a value counts if its position is
-not before the row's birth, the first INSERT after the last DELETE, so one fold with map-side combining is enough
-and a key with a third of all events costs each task one record. Copies of a message list the same columns at the
-same position and change nothing.
-
-Two kinds of key need more than one such record: keys moved by an UPDATE, and keys created again after a DELETE.
-Their life is cut into spans at those events; each span is folded the same way, and the spans, linked to the span
-that takes over the row, are evaluated in order. A span is one record per move or delete, never one per event.
+Change batches, ranges of each instance's log, are processed backwards. A batch is folded to one record per key, combined
+map-side, and written: per column the newest position at which it is listed, the newest DELETE, the first and last INSERT.
+Keys that a newer batch has resolved with a tombstone are anti-joined away; of the others the first-seen images are
+recorded. Base rows whose key no change names are appended at the end as they are.
+
+The newest position of a column does not depend on whether the row existed then: a value counts if its position is not
+before the row's birth, the first INSERT after the last DELETE. So one fold is enough, except for keys that are created
+again in the batch in which they are deleted: their events after the DELETE are folded once more. A key with a third of
+all events costs each task one record. Copies of a message list the same columns at the same position and change nothing.
+
+Moved keys
+----------
+An UPDATE that moves a row ends a span of the log for the key that it leaves and for the key that it enters. Events of
+such keys are told apart by span, found as of their position over ranges of (key, position), so that a key with many
+moves is spread as well. A span is folded like a key; then the spans, one record for each move, are linked to the one
+that takes over the row, and each chain is evaluated in order. A chain is as long as its row was moved often.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.model import POSITION_BASE, POSITION_TYPE, key_text, key_values, position, position_lsn, transactions, with_commit
-from tidemark.session import small, written
+from tidemark.model import POSITION_BASE, POSITION_TYPE, key_values, position, position_lsn, transactions, with_commit
+from tidemark.operators.ordering import as_of, running
+from tidemark.session import ship, small, written
 
 TABLE = ["instance_name", "schema_name", "table_name"]
 KEY = [*TABLE, "row_key"]
+#: A key's span of the log; keys that were never moved have one, from _START.
+UNIT = [*KEY, "start"]
 STATE = T.StructType([*[T.StructField(c, T.StringType()) for c in [*KEY, "column_name"]], T.StructField("lsn", T.LongType())])
 #: Columns held in one folded record; wider tables take several records per key.
 SLOTS = 8
 #: Ranges of the log that are processed one after the other, newest first.
 BATCHES = 3
-#: Copies of each span border when events are joined to it, so that a heavy key is spread over as many tasks.
-SALTS = 8
 _START = -1
+_KEY_BYTES = 256
+
+
+def key_identity(values: Column) -> Column:
+    """Key values as one text that tells all keys apart: joined with |, with a backslash before a | or \\ within a value."""
+    escaped = F.transform(values, lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")))
+    return F.array_join(escaped, "|")
+
+
+def key_shown(identity: Column) -> Column:
+    """The key values of key_identity, simply joined with |."""
+    return F.when(F.contains(identity, F.lit("\\")), F.regexp_replace(identity, r"\\(.)", "$1")).otherwise(identity)
 
 
 def _has_null(values: Column) -> Column:
@@ -85,12 +102,12 @@ def row_events(changes: DataFrame) -> DataFrame:
         "instance_name",
         F.coalesce("schema_name", F.lit("")).alias("schema_name"),
         "table_name",
-        key_text(F.col("__key")).alias("row_key"),
+        key_identity(F.col("__key")).alias("row_key"),
         F.substring("action", 1, 1).alias("op"),
         position(F.col("commit_lsn"), F.col("lsn")).alias("pos"),
         "commit_lsn",
         F.when(F.col("action") != "DELETE", F.array_except(F.map_keys(after), names)).alias("cols"),
-        F.when(F.col("__new") != F.col("__key"), key_text(F.col("__new"))).alias("new_key"),
+        F.when(F.col("__new") != F.col("__key"), key_identity(F.col("__new"))).alias("new_key"),
     )
 
 
@@ -105,7 +122,10 @@ def _batched(events: DataFrame, txns: DataFrame, batches: int) -> DataFrame:
 
 
 def _seeded(base: DataFrame) -> DataFrame:
-    """Base rows, a state, as INSERT events below every change; one for each set of columns with one lsn."""
+    """Base rows, a state, as INSERT events below every change; one for each set of columns with one lsn.
+
+    A row of base without column_name tells that the row is present; it lists no column.
+    """
     grouped = base.groupBy(*KEY, "lsn").agg(F.collect_set("column_name").alias("cols"))
     return grouped.select(
         *KEY, F.lit("I").alias("op"), F.coalesce("lsn", F.lit(0)).cast(POSITION_TYPE).alias("pos"), "cols",
@@ -161,70 +181,49 @@ def _fold(spread: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _merge(folded: DataFrame, by: list[str]) -> DataFrame:
-    return folded.groupBy(*by).agg(
-        *[F.max(s).alias(s) for s in [*_FOLD, "died"]], F.min("born").alias("born"), F.max("reborn").alias("reborn")
-    )
-
+def _newest_first(parts: list[DataFrame], slots: _Slots) -> DataFrame:
+    """(UNIT, grp, slots, born, dead) of parts, the batches from the oldest to the newest, processed backwards.
 
-def _newest_first(events: DataFrame, slots: _Slots, batches: int) -> DataFrame:
-    """(key, grp, slots, died, born, reborn), the batches processed backwards."""
-    records, tombstones = [], []
-    for b in reversed(range(batches)):
-        images = _fold(slots.spread(events.filter(F.col("batch") == b)), [*KEY, "grp"])
-        dead = images.filter(F.col("died").isNotNull() & (F.col("grp") == 0)).select(*KEY)
-        for resolved in tombstones:
-            images = images.join(resolved, KEY, "left_anti")
-        records.append(images)
-        tombstones.append(dead)
-    found = records[0]
-    for r in records[1:]:
-        found = found.unionByName(r)
-    return _merge(found, [*KEY, "grp"])
-
-
-def _borders(events: DataFrame, moves: DataFrame) -> DataFrame:
-    """(key, pos, kind, to_key): where spans of moved keys end. kind: O moved away to to_key, N moved here, D deleted."""
+    dead tells that a DELETE lies before what is recorded: nothing older, and no row that moves here, counts.
+    """
+    records: list[DataFrame] = []
+    resolved: list[DataFrame] = []
+    none = [F.lit(None).cast(POSITION_TYPE).alias(c) for c in [*_FOLD, "born"]]
+    for events in reversed(parts):
+        images = _fold(slots.spread(events), [*UNIT, "grp"])
+        if resolved:
+            images = images.join(reduce(DataFrame.union, resolved), UNIT, "left_anti")
+        images = written(images, "batch-images")
+        gone = images.filter(F.col("died").isNotNull() & (F.col("grp") == 0)).select(*UNIT, "died", "reborn")
+        again = gone.filter(F.col("reborn") > F.col("died")).select(*UNIT, "died")
+        # every event is in group 0; where there are others, they learn of the tombstone from it
+        kept = images.filter(F.col("died").isNull()) if slots.groups == 1 else images.join(gone.select(*UNIT), UNIT, "left_anti")
+        records.append(kept.select(*UNIT, "grp", *_FOLD, "born", F.lit(False).alias("dead")))
+        records.append(gone.select(*UNIT, F.lit(0).alias("grp"), *none, F.lit(True).alias("dead")))
+        later = events.join(small(again, again.count(), _KEY_BYTES), UNIT).filter(F.col("pos") > F.col("died")).drop("died")
+        records.append(_fold(slots.spread(later.select(events.columns)), [*UNIT, "grp"]).select(*UNIT, "grp", *_FOLD, "born", F.lit(True).alias("dead")))
+        resolved.append(gone.select(*UNIT))
+    found = reduce(DataFrame.unionByName, records)
+    return found.groupBy(*UNIT, "grp").agg(*[F.max(s).alias(s) for s in _FOLD], F.min("born").alias("born"), F.max("dead").alias("dead"))
+
+
+def _borders(moves: DataFrame) -> DataFrame:
+    """(KEY, pos, kind, to_key): where spans of moved keys end. kind: O moved away to to_key, N moved here."""
     away = moves.select(*KEY, "pos", F.lit("O").alias("kind"), F.col("new_key").alias("to_key"))
     here = moves.select(*TABLE, F.col("new_key").alias("row_key"), "pos", F.lit("N").alias("kind"), F.lit(None).cast("string").alias("to_key"))
-    keys = away.select(*KEY).union(here.select(*KEY)).distinct()
-    gone = events.filter(F.col("op") == "D").join(keys, KEY, "left_semi")
-    gone = gone.select(*KEY, "pos", F.lit("D").alias("kind"), F.lit(None).cast("string").alias("to_key"))
-    return away.unionByName(here).unionByName(gone).distinct()
-
+    # one statement can move a row away from a key and another to it: what was there goes first, one border for both
+    any_of = [F.max(F.when(F.col("kind") == k, F.lit(k))) for k in "ON"]
+    return away.unionByName(here).groupBy(*KEY, "pos").agg(F.coalesce(*any_of).alias("kind"), F.max("to_key").alias("to_key"))
 
-_SPAN = T.StructType(
-    [
-        *[T.StructField(c, T.StringType()) for c in KEY],
-        T.StructField("start", POSITION_TYPE),
-        T.StructField("until", POSITION_TYPE),
-        T.StructField("next_key", T.StringType()),
-    ]
-)
 
-
-def _spans(borders: DataFrame, again: DataFrame) -> DataFrame:
-    """(key, start, until, next_key, last): consecutive spans of each key.
-
-    next_key holds the row after until; null where the row ends there. For keys that were only created again, the
-    single span after their last DELETE.
-    """
-    # one statement can move a row away from a key and another to it: what was there goes first, one border for both
-    any_of = [F.max(F.when(F.col("kind") == k, F.lit(k))) for k in "ODN"]
-    borders = borders.groupBy(*KEY, "pos").agg(F.coalesce(*any_of).alias("kind"), F.max("to_key").alias("to_key"))
-    cut = borders.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "to_key"))).alias("b"))
-    none = F.lit(None).cast("string")
-    first = F.struct(F.lit(_START).cast(POSITION_TYPE).alias("start"))
-    open_end = F.array(F.struct(F.lit(None).cast(POSITION_TYPE).alias("pos"), none.alias("kind"), none.alias("to_key")))
-    ends = F.concat(F.col("b"), open_end)
-    starts = F.concat(F.array(first["start"]), F.transform("b", lambda x: x["pos"]))
-    of = cut.select(*KEY, F.explode(F.arrays_zip(starts.alias("start"), ends.alias("end"))).alias("z"))
-    moved = of.select(
-        *KEY, F.col("z.start").alias("start"), F.col("z.end.pos").alias("until"),
-        F.when(F.col("z.end.kind") == "O", F.col("z.end.to_key")).when(F.col("z.end.kind") == "N", F.col("row_key")).alias("next_key"),
-    )
-    single = again.select(*KEY, F.col("died").alias("start"), F.lit(None).cast(POSITION_TYPE).alias("until"), none.alias("next_key"))
-    return moved.unionByName(single)
+def _spans(borders: DataFrame) -> DataFrame:
+    """(KEY, start, until, next_key): consecutive spans of each moved key; next_key holds the row after until."""
+    start = F.coalesce("start", F.lit(_START).cast(POSITION_TYPE)).alias("start")
+    ended = running(borders, KEY, ["pos"], {"start": ("max_before", F.col("pos"))})
+    next_key = F.when(F.col("kind") == "O", F.col("to_key")).otherwise(F.col("row_key"))
+    ended = ended.select(*KEY, start, F.col("pos").alias("until"), next_key.alias("next_key"))
+    last = borders.groupBy(*KEY).agg(F.max("pos").alias("start"))
+    return ended.unionByName(last.select(*KEY, "start", F.lit(None).cast(POSITION_TYPE).alias("until"), F.lit(None).cast("string").alias("next_key")))
 
 
 def _rooted(spans: DataFrame) -> DataFrame:
@@ -252,58 +251,59 @@ def _rooted(spans: DataFrame) -> DataFrame:
     return link.drop("ended")
 
 
-def _span_events(events: DataFrame, spans: DataFrame) -> DataFrame:
-    """The events inside spans, with the span's start. The borders are salted, so a heavy key is spread."""
-    salt = F.pmod(F.xxhash64("pos"), F.lit(SALTS)).cast("int")
-    of = spans.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "until"))).alias("of"))
-    of = of.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    e = events.withColumn("salt", salt).join(of, [*KEY, "salt"])
-    inside = F.filter("of", lambda s: (F.col("pos") > s["start"]) & (s["until"].isNull() | (F.col("pos") <= s["until"])))
-    return e.withColumn("start", F.get(inside, F.lit(0))["start"]).filter(F.col("start").isNotNull()).drop("of", "salt")
-
-
-def _evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one root together, by start: carry each span's row to the span that takes it over."""
-    out: list[tuple] = []
-    root, states = None, {}
-
-    def close():
-        if root is not None and root in states:
-            for column, pos in states[root].items():
-                out.append((*root[:-1], column, int(pos) % POSITION_BASE))
-
-    for frame in batches:
-        for r in frame.itertuples(index=False, name="Span"):
-            key = (r.instance_name, r.schema_name, r.table_name)
-            of = (*key, r.root_key, r.root_start)
-            if of != root:
-                close()
-                root, states = of, {}
-            me = (*key, r.row_key, r.start)
-            row = states.pop(me, None)
-            listed = {} if r.images is None else {x["column_name"]: x["pos"] for x in r.images}
-            if row is not None:
-                row.update(listed)
-            elif r.born is not None and r.born == r.born:
-                row = {c: p for c, p in listed.items() if p >= r.born}
-            if row is not None:
-                to = me if r.until is None or r.until != r.until else (*key, r.next_key, r.until)
-                if to in states and to != me:  # two rows under one key: the one that moved here replaces the other
-                    row = row if r.next_key != r.row_key else states[to]
-                states[to] = row
+def _evaluate(presence: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of one root together, by start: carry each span's row to the span that takes it over."""
+        out: list[tuple] = []
+        root, states = None, {}
+
+        def close():
+            if root is not None and root in states:
+                columns = states[root]
+                if presence:
+                    out.append((*root[:-1], None, 0))
+                for column, pos in columns.items():
+                    out.append((*root[:-1], column, int(pos) % POSITION_BASE))
+
+        for frame in batches:
+            for r in frame.itertuples(index=False, name="Span"):
+                key = (r.instance_name, r.schema_name, r.table_name)
+                of = (*key, r.root_key, r.root_start)
+                if of != root:
+                    close()
+                    root, states = of, {}
+                me = (*key, r.row_key, r.start)
+                row = states.pop(me, None)
+                listed = {} if r.images is None else {x["column_name"]: x["pos"] for x in r.images}
+                born = r.born is not None and r.born == r.born
+                if row is not None and not (r.dead is True or r.dead == 1):
+                    row.update(listed)
+                else:
+                    row = {c: p for c, p in listed.items() if p >= r.born} if born else None
+                if row is not None:
+                    to = me if r.until is None or r.until != r.until else (*key, r.next_key, r.until)
+                    if to in states and to != me:  # two rows under one key: the one that moved here replaces the other
+                        row = row if r.next_key != r.row_key else states[to]
+                    states[to] = row
+            yield pd.DataFrame(out, columns=STATE.names)
+            out = []
+        close()
         yield pd.DataFrame(out, columns=STATE.names)
-        out = []
-    close()
-    yield pd.DataFrame(out, columns=STATE.names)
 
+    return run
 
-def apply_changes(changes: DataFrame, base: DataFrame | None = None, batches: int = BATCHES) -> DataFrame:
+
+def apply_changes(changes: DataFrame, base: DataFrame | None = None, batches: int = BATCHES, presence: bool = False) -> DataFrame:
     """The state after all changes, as STATE: one row for each non-key column that a present row holds.
 
-    lsn is that of the change that gave the column its value, nulls included. base is a state to start from.
-    Copies, late and out-of-order rows, empty tables and extra columns are allowed. Two live rows that a move
-    brings under one key: the moved row replaces the other. A present row without non-key columns has no row here.
+    row_key is the key's identity, see key_identity; lsn is that of the change that gave the column its value, nulls
+    included. With presence, each present row has one more row, without column_name, so that rows without other
+    columns are told too. base is such a state, of the log up to where changes begin, to start from.
+
+    Copies, late and out-of-order rows, empty tables and extra columns are allowed. Two live rows that a move brings under
+    one key: the moved row replaces the other. Jobs run while the result is built; their results are in the shared folder.
     """
+    ship(changes.sparkSession)
     txns = written(transactions(changes), "transactions")
     columns = ["instance_name", "txn_id", "commit_lsn", "action", "schema_name", "table_name", "key_names", "before_image", "after_image", "lsn"]
     narrow = with_commit(changes.select(*columns), txns)
@@ -315,33 +315,36 @@ def apply_changes(changes: DataFrame, base: DataFrame | None = None, batches: in
         events = events.unionByName(_seeded(base.join(touched, KEY, "left_semi")).select(events.columns))
     events = written(events, "row-events", ["batch"])
     slots = _Slots(events)
-    folded = written(_newest_first(events, slots, batches), "folded")
 
     moves = written(events.filter(F.col("new_key").isNotNull()).select(*KEY, "pos", "new_key").distinct(), "moves")
-    # where the birth is in another group of columns, grp 0 has it: every event is in grp 0
-    life = folded.filter("grp = 0").select(*KEY, "died", "born", "reborn")
-    again = life.filter(F.col("reborn") > F.col("died")).select(*KEY, "died")
     moved_keys = moves.select(*KEY).union(moves.select(*TABLE, F.col("new_key").alias("row_key"))).distinct()
-    spans = written(_spans(_borders(events, moves), again.join(moved_keys, KEY, "left_anti")), "spans")
-    special = spans.select(*KEY).distinct()
-
-    plain = folded.join(special, KEY, "left_anti")
-    if slots.groups > 1:
-        plain = plain.drop("died", "born", "reborn").join(life, KEY)
-    live = plain.filter(F.col("born").isNotNull() & F.col("died").isNull())
-    simple = slots.named(live, [*KEY, "born"]).filter(F.col("pos") >= F.col("born"))
-    simple = simple.select(*KEY, "column_name", position_lsn(F.col("pos")).alias("lsn"))
-
-    rooted = _rooted(spans)
-    per_span = [*KEY, "start", "grp"]
-    pieces = written(_fold(slots.spread(_span_events(events, spans)), per_span), "span-images")
-    images = slots.named(pieces, [*KEY, "start"]).groupBy(*KEY, "start").agg(F.collect_list(F.struct("column_name", "pos")).alias("images"))
-    births = pieces.filter("grp = 0").select(*KEY, "start", "born")
-    next_keys = spans.select(*KEY, "start", "next_key")
+    moved_keys = written(moved_keys, "moved-keys")
+    moved = small(moved_keys, moved_keys.count(), _KEY_BYTES)
+    borders = written(_borders(moves), "borders")
+    start = F.lit(_START).cast(POSITION_TYPE)
+    plain = events.drop("new_key").join(moved, KEY, "left_anti").withColumn("start", start)
+    spanned = as_of(events.drop("new_key").join(moved, KEY, "left_semi"), borders.select(*KEY, "pos", F.col("pos").alias("start")), KEY, "pos", ["start"])
+    spanned = written(spanned.withColumn("start", F.coalesce("start", start)), "spanned", ["batch"])
+    parts = [plain.filter(F.col("batch") == b).unionByName(spanned.filter(F.col("batch") == b)).drop("batch") for b in range(batches)]
+    folded = written(_newest_first(parts, slots), "folded")
+
+    units = folded
+    if slots.groups > 1:  # the birth is known in group 0, where every event is
+        units = folded.drop("born", "dead").join(folded.filter("grp = 0").select(*UNIT, "born", "dead"), UNIT)
+    live = units.filter(F.col("born").isNotNull()).join(moved, KEY, "left_anti")
+    rows = slots.named(live, [*KEY, "born"]).filter(F.col("pos") >= F.col("born"))
+    result = rows.select(*KEY, "column_name", position_lsn(F.col("pos")).alias("lsn"))
+    if presence:
+        result = result.unionByName(live.filter("grp = 0").select(*KEY, F.lit(None).cast("string").alias("column_name"), F.lit(0).cast("long").alias("lsn")))
+
+    spans = written(_spans(borders), "spans")
+    chained = written(units.join(moved, KEY, "left_semi"), "moved-images")
+    images = slots.named(chained, UNIT).groupBy(*UNIT).agg(F.collect_list(F.struct("column_name", "pos")).alias("images"))
+    births = chained.filter("grp = 0").select(*UNIT, "born", "dead")
     ready = (
-        rooted.join(births, [*KEY, "start"], "left").join(images, [*KEY, "start"], "left").join(next_keys, [*KEY, "start"], "left")
+        _rooted(spans).join(births, UNIT, "left").join(images, UNIT, "left").join(spans.select(*UNIT, "next_key"), UNIT, "left")
         .repartition(*TABLE, "root_key", "root_start")
         .sortWithinPartitions(*TABLE, "root_key", "root_start", "start")
     )
-    result = simple.unionByName(ready.mapInPandas(_evaluate, STATE))
+    result = result.unionByName(ready.mapInPandas(_evaluate(presence), STATE))
     return result if untouched is None else result.unionByName(untouched.select(result.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators import apply, dedup, incremental, schema_drift, skew
 from tidemark.session import shared_path, written
@@ -15,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply.apply_changes(table(spark, sf_dir, "changes"))
+    state = apply.apply_changes(table(spark, sf_dir, "changes"))
+    return state.withColumn("row_key", apply.key_shown(F.col("row_key")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
