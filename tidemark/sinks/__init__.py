@@ -1 +1 @@
-"""tidemark.sinks"""
+"""Destinations of changes: snapshots, statements, logs; fan-out to several with isolation."""
