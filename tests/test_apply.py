@@ -74,3 +74,90 @@ def test_random_feeds(spark):
         rnd.shuffle(rows)
         got, want = both(spark, rows + rows[:50])
         assert got == want, seed
+
+
+def table_state(spark, rows, **kw):
+    return state(apply_changes(spark.createDataFrame(rows, SCHEMA), **kw))
+
+
+I, U, D = "INSERT", "UPDATE", "DELETE"
+ROW = (I, None, {"id": "1", "c1": "a", "c2": "b"})
+#: (number, events, expected {(key, column): number of the event that gave the value}).
+GOLDEN = [
+    (1, [ROW], {("1", "c1"): 1, ("1", "c2"): 1}),
+    (2, [ROW, (I, None, {"id": "1", "c1": "x"})], {("1", "c1"): 2, ("1", "c2"): 1}),
+    (3, [ROW, (I, None, {"id": "1"})], {("1", "c1"): 1, ("1", "c2"): 1}),
+    (4, [ROW, (U, None, {"id": "1", "c1": None})], {("1", "c1"): 2, ("1", "c2"): 1}),
+    (5, [ROW, (U, None, {"id": "1", "c1": "z"})], {("1", "c1"): 2, ("1", "c2"): 1}),
+    (6, [(U, None, {"id": "1", "c1": "z"})], {}),
+    (7, [ROW, (D, {"id": "1"}, None), (U, None, {"id": "1", "c1": "z"})], {}),
+    (8, [ROW, (D, {"id": "1"}, None), (I, None, {"id": "1", "c1": "n"})], {("1", "c1"): 3}),
+    (9, [(I, None, {"id": "1", "c1": "a"}), (D, {"id": "1"}, None)], {}),
+    (10, [ROW, (U, {"id": "1"}, {"id": "2", "c1": "a", "c2": "b"})], {("2", "c1"): 2, ("2", "c2"): 2}),
+    (11, [ROW, (U, {"id": "1"}, {"id": "2", "c1": "q"})], {("2", "c1"): 2, ("2", "c2"): 1}),
+    (12, [ROW, (D, {}, None), (D, None, None)], {("1", "c1"): 1, ("1", "c2"): 1}),
+    (13, [ROW, (D, {"id": None}, None)], {("1", "c1"): 1, ("1", "c2"): 1}),
+    (15, [ROW, (U, {"id": None}, {"id": "1", "c1": "z"})], {("1", "c1"): 1, ("1", "c2"): 1}),
+    (17, [ROW, ROW], {("1", "c1"): 2, ("1", "c2"): 2}),
+]
+
+
+def test_golden_scenarios(spark):
+    """All of them at once, each in a table of its own."""
+    rows, want = [], {}
+    for number, events, expected in GOLDEN:
+        for at, (action, before, after) in enumerate(events, 1):
+            e = list(ev(number * 100 + at, action, before, after, at))
+            e[7] = f"g{number}"
+            rows.append(tuple(e))
+        want |= {("a", "s", f"g{number}", *k): v for k, v in expected.items()}
+    keyless = ev(1, I, None, {"c1": "a"}, names=())
+    other = ev(2, D, {"k1": "1", "k2": "3"}, None, names=("k1", "k2"))
+    assert table_state(spark, [*rows, keyless, other]) == want
+
+
+def test_composite_keys_that_read_alike(spark):
+    rows = [
+        ev(1, I, None, {"k": "a|b", "l": "c", "x": "1"}, names=("k", "l")),
+        ev(2, I, None, {"k": "a", "l": "b|c", "x": "2"}, names=("k", "l")),
+        ev(3, I, None, {"k": "a\\", "l": "c", "x": "3"}, names=("k", "l")),
+        ev(4, D, {"k": "a", "l": "b|c"}, None, names=("k", "l")),
+    ]
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.apply import key_shown
+
+    df = apply_changes(spark.createDataFrame(rows, SCHEMA)).select(key_shown(F.col("row_key")).alias("k"), "lsn")
+    assert sorted(map(tuple, df.collect())) == [("a\\|c", 3), ("a|b|c", 1)]
+
+
+def test_any_number_of_batches_and_a_base_give_the_same(spark):
+    from simulator import simulate
+    from tidemark.operators.apply import key_shown  # noqa: F401
+
+    rnd, rows = random.Random(9), []
+    for n in range(1, 241):
+        k, c = str(rnd.randrange(25)), rnd.choice("abcdefghijk")  # more columns than one record holds
+        kind = rnd.random()
+        row = ev(n, I, None, {"id": k, **({c: "v"} if rnd.random() < 0.9 else {})})
+        if kind > 0.45:
+            row = ev(n, U, None, {"id": k, c: "v"})
+        if kind > 0.75:
+            row = ev(n, D, {"id": k}, None)
+        if kind > 0.92:
+            row = ev(n, U, {"id": k}, {"id": str(rnd.randrange(25)), c: "m"})
+        rows.append((*row[:3], n, *row[4:]))  # each its own commit
+    want = simulate([dict(zip(SCHEMA.names, r)) for r in rows])
+    assert table_state(spark, rows, batches=1) == want == table_state(spark, rows, batches=3)
+    first = apply_changes(spark.createDataFrame(rows[:120], SCHEMA), presence=True)
+    second = apply_changes(spark.createDataFrame(rows[120:], SCHEMA), base=first, presence=True)
+    got = {(r.instance_name, r.schema_name, r.table_name, r.row_key, r.column_name): r.lsn for r in second.collect() if r.column_name is not None}
+    assert got == want
+
+
+def test_empty_null_and_clashing(spark):
+    df = spark.createDataFrame([ev(1, I, None, {"id": "1", "start": "a", "row_key": "b"})], SCHEMA)
+    assert {k[4] for k in state(apply_changes(df.selectExpr("*", "1 as pos", "2 as grp", "3 as born")))} == {"start", "row_key"}
+    assert apply_changes(df.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, 1, None, None, None, None, None, None, None, None, None, None)], SCHEMA.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), verifySchema=False)
+    assert apply_changes(nulls).count() == 0

@@ -93,7 +93,7 @@ def keep_vectors(scan: DataFrame, identity: dict[str, Column], order: Column) ->
     names = dict(identity)
     exact = [c.alias(f"__e{i}") for i, (n, c) in enumerate(names.items()) if n == "lsn"]
     hashed = [c for n, c in names.items() if n != "lsn"]
-    marked = [F.concat_ws("", F.when(c.isNull(), F.lit("n")).otherwise(F.lit("v")), c.cast("string")) for c in hashed]
+    marked = [F.concat_ws("", F.when(c.isNull(), F.lit("n")).otherwise(F.lit("v")), c.cast("string")) for c in hashed] or [F.lit("")]
     slim = _placed(scan).select(
         *exact,
         F.xxhash64(*marked).alias("__h1"),
