@@ -58,7 +58,10 @@ _KEY_BYTES = 256
 def key_identity(values: Column) -> Column:
     """Key values as one text that tells all keys apart: joined with |, with a backslash before a | or \\ within a value."""
     escaped = F.transform(values, lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")))
-    return F.array_join(escaped, "|")
+    joined = F.array_join(values, "|")
+    separators = F.length(joined) - F.length(F.replace(joined, F.lit("|"), F.lit("")))
+    plain = ~F.contains(joined, F.lit("\\")) & (separators == F.size(values) - 1)
+    return F.when(plain, joined).otherwise(F.array_join(escaped, "|"))
 
 
 def key_shown(identity: Column) -> Column:
