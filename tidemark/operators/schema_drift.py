@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import written
+from tidemark.session import ship, small, written
 
 TABLE = ["schema_name", "table_name"]
 CHANGES = "schema_name string, table_name string, file_no long, kind string, column_name string, old_name string"
@@ -78,11 +78,17 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key = [cells.get(k, (None, None))[1] for k in keys] if keys is not None else []
             key = None if not len(key) or None in key else "|".join(key)
             out.extend((s, t, file_no, line_no, action, key, c, *v) for c, v in cells.items())
+            if not cells:  # the file is one of the table's all the same
+                out.append((s, t, file_no, line_no, action, None, None, None, None))
         yield pd.DataFrame(out, columns=names)
 
 
 def cells(feed: DataFrame) -> DataFrame:
-    """One row for each column of each readable line, tagged; lines with unreadable or no JSON are left out."""
+    """One row for each column of each readable line, tagged; lines with unreadable or no JSON are left out.
+
+    A line without columns has one row without column_name. Null schema or table names count as empty.
+    """
+    ship(feed.sparkSession)
     f = feed.select(
         F.coalesce("schema_name", F.lit("")).alias("schema_name"), F.coalesce("table_name", F.lit("")).alias("table_name"),
         "file_no", "line_no", "action", "key_names", "after_image",
@@ -97,19 +103,34 @@ def _file_type(tags: set) -> str | None:
     return next(iter(tags)) if len(tags) == 1 else "text" if tags else None
 
 
+def _settled(seq: list[tuple[int, set]]) -> list[tuple[int, str]]:
+    """(file, type) of the files in which a column has values.
+
+    A column that mixes a type with another in some files has files with values of the one only by chance: between files of
+    the wider type these are of the wider type too.
+    """
+    kinds = [(f, k) for f, tags in seq if (k := _file_type(tags))]
+    mixed = {(narrow, _file_type(tags)) for _, tags in seq for narrow in tags - {None} if len(tags - {None}) > 1}
+    out = []
+    for i, (f, k) in enumerate(kinds):
+        wider = [w for n, w in mixed if n == k != w and any(x == w for _, x in kinds[:i]) and any(x == w for _, x in kinds[i + 1 :])]
+        out.append((f, wider[0] if wider else k))
+    return out
+
+
 def _timeline(pdf: pd.DataFrame) -> tuple[list, dict, dict, dict]:
     files = sorted(pdf.file_no.unique())
     has: dict = {}
     types: dict = {}
     for file_no, column, tags in zip(pdf.file_no, pdf.column_name, pdf.tags):
+        if column is None:
+            continue
         has.setdefault(column, []).append(file_no)
-        kind = _file_type(set(tags))
-        if kind:
-            types.setdefault(column, []).append((file_no, kind))
+        types.setdefault(column, []).append((file_no, set(tags)))
     came = {c: min(f) for c, f in has.items() if min(f) != files[0]}
     after = dict(zip(files, files[1:]))
     gone = {c: after[max(f)] for c, f in has.items() if max(f) in after}
-    return files, came, gone, types
+    return files, came, gone, {c: _settled(sorted(seq, key=lambda x: x[0])) for c, seq in types.items()}
 
 
 def _pairs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -135,23 +156,28 @@ def _changes(pdf: pd.DataFrame, renames: pd.DataFrame) -> pd.DataFrame:
         for c, seq in types.items():
             if c in old_of and types.get(old_of[c]):  # a renamed column goes on from its old type
                 seq = [types[old_of[c]][-1], *seq]
-            for (_, a), (i, (f, b)) in zip(seq, list(enumerate(seq))[1:]):
-                later = [k for _, k in seq[i:]]
-                run = next((k for k in later if k != "whole"), None)
-                if a != b and not (a == "decimal" and b == "whole" and run == "decimal") and not (a == "whole" and b == "decimal" and "decimal" in [k for _, k in seq[: i - 1]]):
-                    out.append((s, t, f, "retyped", c, None))
+            out.extend((s, t, f, "retyped", c, None) for (_, a), (f, b) in zip(seq, seq[1:]) if a != b)
     return pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
 
 
 def schema_changes(tagged_cells: DataFrame) -> DataFrame:
-    """Every added, removed, renamed and retyped column, with the file of the change."""
+    """Every added, removed, renamed and retyped column, with the file of the change: CHANGES.
+
+    What is brought together for a table is one record for each file and column; of the values only those of columns that
+    go and come in one file are compared, by key.
+    """
     per_file = tagged_cells.groupBy(*TABLE, "file_no", "column_name").agg(F.collect_set("tag").alias("tags"))
     per_file = written(per_file, "columns-per-file")
     pairs = written(per_file.groupBy(*TABLE).applyInPandas(_pairs, "schema_name string, table_name string, file_no long, new_name string, old_name string"), "pairs")
     valued = tagged_cells.filter(F.col("value").isNotNull() & F.col("row_key").isNotNull()).withColumnRenamed("file_no", "at")
     place = F.struct("at", "line_no")
-    old = valued.join(F.broadcast(pairs), [F.col("column_name") == F.col("old_name"), *[valued[c] == pairs[c] for c in TABLE]]).select(*[valued[c] for c in TABLE], "file_no", "new_name", "old_name", "row_key", "value", "at", "line_no")
-    new = valued.join(F.broadcast(pairs), [F.col("column_name") == F.col("new_name"), *[valued[c] == pairs[c] for c in TABLE]]).select(*[valued[c] for c in TABLE], "file_no", "new_name", "old_name", "row_key", "value", "at", "line_no")
+    few = small(pairs, pairs.count(), 256)
+
+    def under(name: str) -> DataFrame:
+        same = [valued["column_name"] == pairs[name], *[valued[c] == pairs[c] for c in TABLE]]
+        return valued.join(few, same).select(*[valued[c] for c in TABLE], "file_no", "new_name", "old_name", "row_key", "value", "at", "line_no")
+
+    old, new = under("old_name"), under("new_name")
     pair = [*TABLE, "file_no", "new_name", "old_name"]
     last = old.groupBy(*pair, "row_key").agg(F.max_by("value", place).alias("was"))
     first = new.groupBy(*pair, "row_key").agg(F.min_by("value", place).alias("now"))
@@ -182,7 +208,8 @@ def consistent_table(tagged_cells: DataFrame, changes: DataFrame) -> DataFrame:
     """
     renamed = changes.filter("kind = 'renamed'")
     final = renamed.groupBy(*TABLE).applyInPandas(_final, "schema_name string, table_name string, column_name string, final_name string")
-    named = tagged_cells.join(F.broadcast(written(final, "final-names")), [*TABLE, "column_name"], "left")
+    final = written(final, "final-names")
+    named = tagged_cells.filter(F.col("column_name").isNotNull()).join(small(final, final.count(), 256), [*TABLE, "column_name"], "left")
     named = named.withColumn("column_name", F.coalesce("final_name", "column_name")).drop("final_name")
     value, tag = F.col("value"), F.col("tag")
     union = F.struct(
@@ -200,4 +227,5 @@ def consistent_table(tagged_cells: DataFrame, changes: DataFrame) -> DataFrame:
     all_of = named.groupBy(*TABLE).agg(F.sort_array(F.collect_set("column_name")).alias("names"))
     held = F.map_from_entries(F.col("c"))
     columns = F.map_from_arrays(F.col("names"), F.transform("names", lambda n: F.try_element_at(held, n)))
-    return once.join(F.broadcast(written(all_of, "all-columns")), TABLE).select(*line, "row_key", columns.alias("columns"))
+    all_of = written(all_of, "all-columns")
+    return once.join(small(all_of, all_of.count(), 4096), TABLE).select(*line, "row_key", columns.alias("columns"))

@@ -405,3 +405,23 @@ select seq, case
 from p where (action = 'INSERT' and na > 0) or (action = 'UPDATE' and na > 0 and len(ks) > 0) or (action = 'DELETE' and nb > 0 and len(ks) > 0)""")
 def q_sql_render(spark, sf_dir):
     return render.statements(table(spark, sf_dir, "changes"), ["seq"])
+
+
+@query("""select sink, sink as slot_name, 'pub_' || instance_name as publication, 'postgres://h/db?x=1' as url, pending * 100.0 / 4000 >= 85 as high,
+    greatest(200, least(2000, pending)) as clamped from sink_progress""")
+def q_connection_options(spark, sf_dir):
+    url = F.concat(F.lit("postgres://h/db?slot_name="), F.col("sink"), F.lit("&x=1&publication_names=pub_"), F.coalesce("instance_name", F.lit("")))
+    p = table(spark, sf_dir, "sink_progress")
+    return p.select(
+        "sink", scalars.option(url, "slot_name").alias("slot_name"), scalars.option(url, "publication_names").alias("publication"), scalars.without_options(url, ["slot_name", "publication_names"]).alias("url"),
+        scalars.over_percent(F.col("pending"), F.lit(4000), 85).alias("high"), scalars.clamp(F.col("pending"), 200, 2000).alias("clamped"),
+    )
+
+
+@query("select doc_id, body is null as missing, case when body is not null then length(body) - length(body) end as lost from documents where false union all select -1, false, 0")
+def q_bytes_as_text(spark, sf_dir):
+    """One row: whether bytes that are no UTF-8 become U+FFFD and everything else stays, over all page bodies."""
+    d = table(spark, sf_dir, "documents").filter("body is not null")
+    text = scalars.text_of(F.col("body"))
+    wrong = F.sum(F.when(~F.is_valid_utf8(text), 1).otherwise(0)) + F.sum(F.when(F.is_valid_utf8(F.col("body").cast("string")) & (text != F.col("body").cast("string")), 1).otherwise(0))
+    return d.agg(F.lit(-1).cast("long").alias("doc_id"), F.lit(False).alias("missing"), F.coalesce(wrong, F.lit(0)).cast("long").alias("lost"))
