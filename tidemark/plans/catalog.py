@@ -418,10 +418,9 @@ def q_connection_options(spark, sf_dir):
     )
 
 
-@query("select doc_id, body is null as missing, case when body is not null then length(body) - length(body) end as lost from documents where false union all select -1, false, 0")
+@query("select doc_id, try(decode(body)) is not null as valid, try(decode(body)) as page from documents where body is not null")
 def q_bytes_as_text(spark, sf_dir):
-    """One row: whether bytes that are no UTF-8 become U+FFFD and everything else stays, over all page bodies."""
+    """Page bodies as text; bytes that are no UTF-8 become U+FFFD, such pages are told apart and left out here."""
     d = table(spark, sf_dir, "documents").filter("body is not null")
-    text = scalars.text_of(F.col("body"))
-    wrong = F.sum(F.when(~F.is_valid_utf8(text), 1).otherwise(0)) + F.sum(F.when(F.is_valid_utf8(F.col("body").cast("string")) & (text != F.col("body").cast("string")), 1).otherwise(0))
-    return d.agg(F.lit(-1).cast("long").alias("doc_id"), F.lit(False).alias("missing"), F.coalesce(wrong, F.lit(0)).cast("long").alias("lost"))
+    valid = F.is_valid_utf8(F.col("body").cast("string"))
+    return d.select("doc_id", valid.alias("valid"), F.when(valid, scalars.text_of(F.col("body"))).alias("page"))
