@@ -160,7 +160,7 @@ def features(text: str, body: bytes | None, headers: str | None, source: str | N
     near = "limit" if limit in ("at", "near") else "by" if limit == "by" else "far"
     no_page = rel in ("none", "lost")
     named = [
-        "bias", f"rel {rel}", f"rel {rel}:{full}", f"rel {rel}:{kind}:{full}", f"rel {rel}:{last}", f"mark {marked}:{rel}", f"mark {marked}:{near}:{no_page}",
+        "bias", f"rel {rel}", f"rel {rel}:{full}", f"rel {rel}:{kind}:{full}", f"rel {rel}:{last}", f"mark {marked}:{rel}", f"mark {marked}:{near}:{no_page}", f"mark {marked}:{said}:{no_page}",
         f"limit {limit}:{full}", f"limit {near}:{kind}:{full}:{no_page}", f"limit {near}:{marked}:{no_page}", f"last {last}:{kind}:{no_page}", f"size {min(len(words), 12)}:{full}:{no_page}",
         f"said {said}:{full}", f"said {said}:{rel}:{full}", f"unclosed {unclosed}:{full}", f"sentences {min(sentences, 3)}:{full}:{no_page}", f"lower {lower_start}:{rest}:{no_page}",
         f"figure {figure}:{rest}", f"line {min(len(line) // 30, 6)}:{full}:{no_page}", f"rest {rest}:{said if no_page else ''}", f"tag {'<' in plain[-12:]}:{no_page}", f"one {plain[-1:]}", f"shape {shape(line)}",

@@ -25,6 +25,8 @@ from tidemark.session import ship, written
 
 #: Documents that the fit is made on; more or less, as they are drawn by a hash of doc_id.
 SAMPLE = 4000
+#: Steps of the fit.
+ROUNDS = 400
 #: A length is a limit if LEAST more texts have it than the mean of the lengths within AROUND of it, and PEAK deviations more.
 LEAST, PEAK, AROUND = 4, 6.0, 60
 #: Of each source and kind of length the most frequent limits count.
@@ -125,6 +127,7 @@ def _sample(documents: DataFrame, limits: dict) -> tuple[np.ndarray, np.ndarray]
     share = 1.0 if total <= SAMPLE else SAMPLE / total
     drawn = _columns(documents).filter(F.length("text") > 0)
     drawn = drawn.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE)
+    drawn = drawn.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a limit leaves one partition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,13 +136,14 @@ def _sample(documents: DataFrame, limits: dict) -> tuple[np.ndarray, np.ndarray]
                 rows += examples(text, body, headers, source, limits, random.Random(d or 0))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["label", "ix"])
 
-    got = drawn.mapInArrow(run, "label int, ix array<int>").collect()
-    return np.array([r.ix for r in got], np.int64), np.array([r.label for r in got], float)
+    # in a fixed order, so that the sums of the fit come out alike however the rows were spread
+    got = sorted((tuple(r.ix), r.label) for r in drawn.mapInArrow(run, "label int, ix array<int>").collect())
+    return np.array([ix for ix, _ in got], np.int64), np.array([label for _, label in got], float)
 
 
 def _fit(ix: np.ndarray, label: np.ndarray) -> np.ndarray:
     w, seen = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-6)
-    for _ in range(250):
+    for _ in range(ROUNDS):
         err = 1 / (1 + np.exp(-w[ix].sum(1))) - label
         g = np.bincount(ix.ravel(), np.repeat(err, ix.shape[1]), DIMENSIONS) / len(label) + 1e-5 * w
         seen += g * g
