@@ -30,6 +30,7 @@ def local_session(cores: str = "8", shuffle: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.openCostInBytes", "524288")  # small tables too are read by several tasks
         .getOrCreate()
     )
 
