@@ -12,7 +12,8 @@ from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import ship, small, written
@@ -118,57 +119,72 @@ def _settled(seq: list[tuple[int, set]]) -> list[tuple[int, str]]:
     return out
 
 
-def _timeline(pdf: pd.DataFrame) -> tuple[list, dict, dict, dict]:
-    files = sorted(pdf.file_no.unique())
-    has: dict = {}
-    types: dict = {}
-    for file_no, column, tags in zip(pdf.file_no, pdf.column_name, pdf.tags):
-        if column is None:
-            continue
-        has.setdefault(column, []).append(file_no)
-        types.setdefault(column, []).append((file_no, set(tags)))
-    came = {c: min(f) for c, f in has.items() if min(f) != files[0]}
-    after = dict(zip(files, files[1:]))
-    gone = {c: after[max(f)] for c, f in has.items() if max(f) in after}
-    return files, came, gone, {c: _settled(sorted(seq, key=lambda x: x[0])) for c, seq in types.items()}
-
-
-def _pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    _, came, gone, _ = _timeline(pdf)
-    s, t = pdf.schema_name.iloc[0], pdf.table_name.iloc[0]
-    out = [(s, t, int(f), new, old) for old, f in gone.items() for new, g in came.items() if f == g]
-    return pd.DataFrame(out, columns=[*TABLE, "file_no", "new_name", "old_name"])
-
-
-def _changes(pdf: pd.DataFrame, renames: pd.DataFrame) -> pd.DataFrame:
-    out: list[tuple] = []
-    if len(pdf):
-        s, t = pdf.schema_name.iloc[0], pdf.table_name.iloc[0]
-        _, came, gone, types = _timeline(pdf)
-        ranked = renames.sort_values(["share", "kept", "new_name", "old_name"], ascending=[False, False, True, True])
-        old_of: dict = {}
-        for new, old in zip(ranked.new_name, ranked.old_name):
-            if new not in old_of and old not in old_of.values():
-                old_of[new] = old
-        for c, f in came.items():
-            out.append((s, t, f, "renamed", c, old_of[c]) if c in old_of else (s, t, f, "added", c, None))
-        out.extend((s, t, f, "removed", c, None) for c, f in gone.items() if c not in old_of.values())
-        for c, seq in types.items():
-            if c in old_of and types.get(old_of[c]):  # a renamed column goes on from its old type
-                seq = [types[old_of[c]][-1], *seq]
-            out.extend((s, t, f, "retyped", c, None) for (_, a), (f, b) in zip(seq, seq[1:]) if a != b)
-    return pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
+def _lives(per_file: DataFrame) -> DataFrame:
+    """(TABLE, column_name, came, gone): the file with which a column comes or goes, null if it was there from the first or to the last.
+
+    A table's list of files is put in order once; columns meet it by joins.
+    """
+    in_order = Window.partitionBy(*TABLE).orderBy("file_no")
+    files = per_file.select(*TABLE, "file_no").distinct().withColumn("__next", F.lead("file_no").over(in_order))
+    starts = files.groupBy(*TABLE).agg(F.min("file_no").alias("__start"))
+    spans = per_file.filter(F.col("column_name").isNotNull()).groupBy(*TABLE, "column_name").agg(F.min("file_no").alias("__first"), F.max("file_no").alias("file_no"))
+    met = spans.join(files, [*TABLE, "file_no"]).join(starts, TABLE)
+    return met.select(*TABLE, "column_name", F.when(F.col("__first") != F.col("__start"), F.col("__first")).alias("came"), F.col("__next").alias("gone"))
+
+
+def _runs(per_file: DataFrame) -> DataFrame:
+    """(TABLE, column_name, runs): the files with which a column's tags change, with the tags; files without values left out."""
+    tags = F.sort_array(F.col("tags"))
+    seen = per_file.filter(F.col("column_name").isNotNull() & (F.size("tags") > 0)).select(*TABLE, "column_name", "file_no", tags.alias("tags"))
+    before = F.lag("tags").over(Window.partitionBy(*TABLE, "column_name").orderBy("file_no"))
+    changed = seen.withColumn("__before", before).filter(F.col("__before").isNull() | (F.col("__before") != F.col("tags")))
+    return changed.groupBy(*TABLE, "column_name").agg(F.sort_array(F.collect_list(F.struct("file_no", "tags"))).alias("runs"))
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the candidates of one file of a table the best first, each column once."""
+    for batch in batches:
+        out = []
+        for s, t, f, candidates in zip(*(c.to_pylist() for c in batch.columns)):
+            news, olds = set(), set()
+            for c in sorted(candidates, key=lambda c: (-c["share"], -c["kept"], c["new_name"], c["old_name"])):
+                if c["new_name"] not in news and c["old_name"] not in olds:
+                    news.add(c["new_name"])
+                    olds.add(c["old_name"])
+                    out.append((s, t, f, c["new_name"], c["old_name"]))
+        yield pa.RecordBatch.from_pylist([dict(zip(_PAIR_NAMES, r)) for r in out], _PAIR_ARROW)
+
+
+def _retyped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(TABLE, file_no, column_name) for each change of a column's type; a renamed column goes on from its old type."""
+    for batch in batches:
+        out = []
+        for s, t, column, runs, old in zip(*(c.to_pylist() for c in batch.columns)):
+            seq = _settled([(r["file_no"], set(r["tags"])) for r in runs])
+            was = _settled([(r["file_no"], set(r["tags"])) for r in old or []])
+            seq = [*was[-1:], *seq]
+            out += [{"schema_name": s, "table_name": t, "file_no": f, "column_name": column} for (_, a), (f, b) in zip(seq, seq[1:]) if a != b]
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("schema_name", pa.string()), ("table_name", pa.string()), ("file_no", pa.int64()), ("column_name", pa.string())]))
+
+
+_PAIR = "schema_name string, table_name string, file_no long, new_name string, old_name string"
+_PAIR_NAMES = ["schema_name", "table_name", "file_no", "new_name", "old_name"]
+_PAIR_ARROW = pa.schema([(n, pa.int64() if n == "file_no" else pa.string()) for n in _PAIR_NAMES])
 
 
 def schema_changes(tagged_cells: DataFrame) -> DataFrame:
     """Every added, removed, renamed and retyped column, with the file of the change: CHANGES.
 
-    What is brought together for a table is one record for each file and column; of the values only those of columns that
-    go and come in one file are compared, by key.
+    Python sees, of a column, the files with which its tags change, and, of a file, the columns that go or come with it. Of
+    the values only those of columns that go and come in one file are compared, by key.
     """
+    ship(tagged_cells.sparkSession)
     per_file = tagged_cells.groupBy(*TABLE, "file_no", "column_name").agg(F.collect_set("tag").alias("tags"))
     per_file = written(per_file, "columns-per-file")
-    pairs = written(per_file.groupBy(*TABLE).applyInPandas(_pairs, "schema_name string, table_name string, file_no long, new_name string, old_name string"), "pairs")
+    lives = written(_lives(per_file).filter(F.col("came").isNotNull() | F.col("gone").isNotNull()), "lives")
+    came = lives.select(*TABLE, F.col("came").alias("file_no"), F.col("column_name").alias("new_name")).filter("file_no is not null")
+    gone = lives.select(*TABLE, F.col("gone").alias("file_no"), F.col("column_name").alias("old_name")).filter("file_no is not null")
+    pairs = written(came.join(gone, [*TABLE, "file_no"]), "pairs")
     valued = tagged_cells.filter(F.col("value").isNotNull() & F.col("row_key").isNotNull()).withColumnRenamed("file_no", "at")
     place = F.struct("at", "line_no")
     few = small(pairs, pairs.count(), 256)
@@ -184,8 +200,22 @@ def schema_changes(tagged_cells: DataFrame) -> DataFrame:
     kept = last.join(first, [*pair, "row_key"]).groupBy(*pair).agg(
         F.sum(F.when(F.col("was") == F.col("now"), 1).otherwise(0)).alias("kept"), F.count(F.lit(1)).alias("both")
     )
-    renames = kept.filter(F.col("kept") * 2 > F.col("both")).withColumn("share", F.col("kept") / F.col("both"))
-    return per_file.groupBy(*TABLE).cogroup(renames.groupBy(*TABLE)).applyInPandas(_changes, CHANGES)
+    likely = kept.filter(F.col("kept") * 2 > F.col("both")).withColumn("share", F.col("kept") / F.col("both"))
+    candidates = likely.groupBy(*TABLE, "file_no").agg(F.collect_list(F.struct("new_name", "old_name", "kept", "share")).alias("candidates"))
+    renamed = written(candidates.mapInArrow(_chosen, _PAIR), "renamed")
+
+    runs = written(_runs(per_file), "runs")
+    before = renamed.select(*TABLE, F.col("new_name").alias("column_name"), F.col("old_name").alias("__old"))
+    of_old = runs.select(*TABLE, F.col("column_name").alias("__old"), F.col("runs").alias("old_runs"))
+    sequences = runs.join(before.join(of_old, [*TABLE, "__old"]), [*TABLE, "column_name"], "left").filter((F.size("runs") > 1) | F.col("old_runs").isNotNull())
+    retyped = sequences.select(*TABLE, "column_name", "runs", "old_runs").mapInArrow(_retyped, "schema_name string, table_name string, file_no long, column_name string")
+
+    none = F.lit(None).cast("string").alias("old_name")
+    change = lambda df, kind, name, old=none: df.select(*TABLE, "file_no", F.lit(kind).alias("kind"), F.col(name).alias("column_name"), old)
+    added = came.join(renamed, [*TABLE, "file_no", "new_name"], "left_anti")
+    removed = gone.join(renamed, [*TABLE, "file_no", "old_name"], "left_anti")
+    out = change(added, "added", "new_name").unionByName(change(removed, "removed", "old_name"))
+    return out.unionByName(change(renamed, "renamed", "new_name", F.col("old_name"))).unionByName(change(retyped, "retyped", "column_name"))
 
 
 def _final(pdf: pd.DataFrame) -> pd.DataFrame:

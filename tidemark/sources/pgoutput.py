@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.envelope import image, key_names
 from tidemark.operators.ordering import as_of, running
-from tidemark.session import ship
+from tidemark.session import ship, written
 
 _CELLS = "array<struct<code string, text string>>"
 PARSED = (
@@ -161,6 +161,7 @@ def changes(parsed: DataFrame, source_type: str = "postgres") -> DataFrame:
     Rows of relations that were not announced before them are dropped. The last row of each transaction has the commit's
     end as its lsn; a transaction without rows gives one COMMIT row.
     """
+    parsed = written(parsed, "parsed")  # decoded once, read for rows, transactions and relations
     rows = parsed.filter(F.col("kind").isin("insert", "update", "delete", "begin", "commit"))
     # a transaction is what lies between its begin and the next
     begun = running(rows, [], ["seq"], {"txn_id": ("last", F.when(F.col("kind") == "begin", F.col("xid")))}).withColumn("__one", F.lit(1))
