@@ -143,9 +143,8 @@ class _Slots:
         columns = events.select("schema_name", "table_name", F.explode("cols").alias("column_name")).distinct()
         groups = columns.groupBy("schema_name", "table_name").agg(F.sort_array(F.collect_set("column_name")).alias("names"))
         self.catalog = written(groups, "columns")
-        self.tables = self.catalog.count()
-        width = self.catalog.agg(F.max(F.size("names"))).first()[0] or 0
-        self.groups = max(1, -(-width // SLOTS))
+        self.tables, width = self.catalog.agg(F.count(F.lit(1)), F.max(F.size("names"))).first()
+        self.groups = max(1, -(-(width or 0) // SLOTS))
 
     def _names(self) -> DataFrame:
         return small(self.catalog, self.tables, 64 * SLOTS * self.groups)
@@ -321,9 +320,8 @@ def apply_changes(changes: DataFrame, base: DataFrame | None = None, batches: in
 
     moves = written(events.filter(F.col("new_key").isNotNull()).select(*KEY, "pos", "new_key").distinct(), "moves")
     moved_keys = moves.select(*KEY).union(moves.select(*TABLE, F.col("new_key").alias("row_key"))).distinct()
-    moved_keys = written(moved_keys, "moved-keys")
-    moved = small(moved_keys, moved_keys.count(), _KEY_BYTES)
-    borders = written(_borders(moves), "borders")
+    moved = small(moved_keys, 2 * moves.count(), _KEY_BYTES)  # a move names two keys at most
+    borders = _borders(moves)
     start = F.lit(_START).cast(POSITION_TYPE)
     plain = events.drop("new_key").join(moved, KEY, "left_anti").withColumn("start", start)
     spanned = as_of(events.drop("new_key").join(moved, KEY, "left_semi"), borders.select(*KEY, "pos", F.col("pos").alias("start")), KEY, "pos", ["start"])
@@ -341,7 +339,7 @@ def apply_changes(changes: DataFrame, base: DataFrame | None = None, batches: in
         result = result.unionByName(live.filter("grp = 0").select(*KEY, F.lit(None).cast("string").alias("column_name"), F.lit(0).cast("long").alias("lsn")))
 
     spans = written(_spans(borders), "spans")
-    chained = written(units.join(moved, KEY, "left_semi"), "moved-images")
+    chained = units.join(moved, KEY, "left_semi")
     images = slots.named(chained, UNIT).groupBy(*UNIT).agg(F.collect_list(F.struct("column_name", "pos")).alias("images"))
     births = chained.filter("grp = 0").select(*UNIT, "born", "dead")
     ready = (
