@@ -21,8 +21,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = incremental.new_messages(table(spark, sf_dir, "changes"), table(spark, sf_dir, "checkpoint_files"))
-    return found.select("seq")
+    """One run into an empty sink: plan, read, merge, commit, retire."""
+    sink = incremental.IncrementalSink(spark, shared_path(spark, "sink"))
+    sink.run(table(spark, sf_dir, "changes"), table(spark, sf_dir, "checkpoint_files"))
+    return sink.records().select("seq")
 
 
 class _Stop(Exception):
