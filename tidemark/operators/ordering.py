@@ -16,14 +16,13 @@ from tidemark.session import small, written
 _TOTALS_ROW = 256
 
 
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ranged(df: DataFrame, by: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
-    """df with __part, written: near-equal ranges of (by, order), split on quantiles that Spark samples."""
-    out = df.repartitionByRange(partitions or _parts(df), *by, *order).withColumn("__part", F.spark_partition_id())
-    return written(out, "ranged")
+    """df with __part, written: near-equal ranges of (by, order), split on quantiles that Spark samples.
+
+    Without a number Spark takes the session's and joins neighbouring ranges that are small.
+    """
+    cut = df.repartitionByRange(partitions, *by, *order) if partitions else df.repartitionByRange(*by, *order)
+    return written(cut.withColumn("__part", F.spark_partition_id()), "ranged")
 
 
 def _same(left: DataFrame, right: DataFrame, by: list[str]) -> Column:
