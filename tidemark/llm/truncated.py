@@ -25,6 +25,8 @@ from tidemark.session import ship, written
 
 #: Documents that the fit is made on; more or less, as they are drawn by a hash of doc_id.
 SAMPLE = 4000
+#: Tasks that make the examples; their number is bounded, as the sample is.
+FIT_TASKS = 12
 #: Steps of the fit.
 ROUNDS = 400
 #: A length is a limit if LEAST more texts have it than the mean of the lengths within AROUND of it, and PEAK deviations more.
@@ -127,7 +129,7 @@ def _sample(documents: DataFrame, limits: dict) -> tuple[np.ndarray, np.ndarray]
     share = 1.0 if total <= SAMPLE else SAMPLE / total
     drawn = _columns(documents).filter(F.length("text") > 0)
     drawn = drawn.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE)
-    drawn = drawn.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a limit leaves one partition
+    drawn = drawn.repartition(FIT_TASKS)  # a limit leaves one partition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
