@@ -104,3 +104,15 @@ def test_values_of_one_type_by_chance_and_odd_lines(spark):
     assert schema_changes(tagged).collect() == []  # file 2 holds whole numbers by chance, file 4 is the table's without a column
     assert consistent_table(tagged, schema_changes(tagged)).count() == 5
     assert schema_changes(cells(df.limit(0))).count() == 0
+
+
+def test_p5_found_has_an_empty_old_name_unless_renamed(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, 0, "INSERT", "s", "t", ["id"], '{"id": 1, "qty": 5, "a": 1}'), (2, 0, "UPDATE", "s", "t", ["id"], '{"id": 1, "amount": 5, "b": "x", "c": "y"}')]
+    spark.createDataFrame(rows, FEED).write.parquet(f"{tmp_path}/raw_feed.parquet")
+    got = {tuple(r) for r in entry.queries()["p5_found"](spark, str(tmp_path)).collect()}
+    assert got == {
+        ("s", "t", 2, "renamed", "amount", "qty"), ("s", "t", 2, "removed", "a", ""),
+        ("s", "t", 2, "added", "b", ""), ("s", "t", 2, "added", "c", ""),
+    }

@@ -66,7 +66,9 @@ def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_drift.schema_changes(written(schema_drift.cells(table(spark, sf_dir, "raw_feed")), "cells"))
+    """The changes with an empty old_name, not null, where nothing was renamed."""
+    changes = schema_drift.schema_changes(written(schema_drift.cells(table(spark, sf_dir, "raw_feed")), "cells"))
+    return changes.withColumn("old_name", F.coalesce("old_name", F.lit("")))
 
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
