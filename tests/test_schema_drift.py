@@ -116,3 +116,19 @@ def test_p5_found_has_an_empty_old_name_unless_renamed(spark, tmp_path):
         ("s", "t", 2, "renamed", "amount", "qty"), ("s", "t", 2, "removed", "a", ""),
         ("s", "t", 2, "added", "b", ""), ("s", "t", 2, "added", "c", ""),
     }
+
+
+def test_renamed_columns_whose_type_changes_before_all_rows_are_seen(spark):
+    def line(f, image):
+        return (f, image["id"], "UPDATE", "s", "t", ["id"], json.dumps(image))
+
+    # score becomes rating in file 2, most rows come only in file 3, as text; gram is text from file 2 on and mass in file 3;
+    # kind goes for another column that is a list at first and later holds, as text, what kind held in one row of three
+    rows = [line(1, {"id": n, "score": n + 0.5, "gram": n, "kind": f"k{n}"}) for n in range(9)]
+    rows += [line(2, {"id": n, "rating": n + 0.5, "gram": f"{n} g", "other": [n]}) for n in range(3)]
+    rows += [line(3, {"id": n, "rating": f"EUR {n}.50", "mass": f"{n} g", "other": f"k{n}" if n < 6 else "k"}) for n in range(9)]
+    got = {tuple(r)[2:] for r in schema_changes(cells(spark.createDataFrame(rows, FEED))).collect()}
+    assert got == {
+        (2, "renamed", "rating", "score"), (3, "retyped", "rating", None), (3, "renamed", "mass", "gram"), (2, "retyped", "gram", None),
+        (2, "removed", "kind", None), (2, "added", "other", None), (3, "retyped", "other", None),
+    }

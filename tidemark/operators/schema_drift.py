@@ -141,6 +141,18 @@ def _runs(per_file: DataFrame) -> DataFrame:
     return changed.groupBy(*TABLE, "column_name").agg(F.sort_array(F.collect_list(F.struct("file_no", "tags"))).alias("runs"))
 
 
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(TABLE, column_name, until, since) of each retyped column: the files before until are of its first type, those from since on of its last."""
+    for batch in batches:
+        out = []
+        for s, t, column, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            seq = _settled([(r["file_no"], set(r["tags"])) for r in runs])
+            turns = [f for (_, a), (f, b) in zip(seq, seq[1:]) if a != b]
+            if turns:
+                out.append({"schema_name": s, "table_name": t, "column_name": column, "until": turns[0], "since": turns[-1]})
+        yield pa.RecordBatch.from_pylist(out, _TURNS_ARROW)
+
+
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the candidates of one file of a table the best first, each column once."""
     for batch in batches:
@@ -167,6 +179,8 @@ def _retyped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, pa.schema([("schema_name", pa.string()), ("table_name", pa.string()), ("file_no", pa.int64()), ("column_name", pa.string())]))
 
 
+_TURNS = "schema_name string, table_name string, column_name string, until long, since long"
+_TURNS_ARROW = pa.schema([(n, pa.int64() if n in ("until", "since") else pa.string()) for n in ["schema_name", "table_name", "column_name", "until", "since"]])
 _PAIR = "schema_name string, table_name string, file_no long, new_name string, old_name string"
 _PAIR_NAMES = ["schema_name", "table_name", "file_no", "new_name", "old_name"]
 _PAIR_ARROW = pa.schema([(n, pa.int64() if n == "file_no" else pa.string()) for n in _PAIR_NAMES])
@@ -176,7 +190,8 @@ def schema_changes(tagged_cells: DataFrame) -> DataFrame:
     """Every added, removed, renamed and retyped column, with the file of the change: CHANGES.
 
     Python sees, of a column, the files with which its tags change, and, of a file, the columns that go or come with it. Of
-    the values only those of columns that go and come in one file are compared, by key.
+    the values only those of columns that go and come in one file are compared, by key. A type change writes values
+    anew, so a column is renamed too if most rows keep their value among those seen before and after without one between.
     """
     ship(tagged_cells.sparkSession)
     per_file = tagged_cells.groupBy(*TABLE, "file_no", "column_name").agg(F.collect_set("tag").alias("tags"))
@@ -184,27 +199,33 @@ def schema_changes(tagged_cells: DataFrame) -> DataFrame:
     lives = written(_lives(per_file).filter(F.col("came").isNotNull() | F.col("gone").isNotNull()), "lives")
     came = lives.select(*TABLE, F.col("came").alias("file_no"), F.col("column_name").alias("new_name")).filter("file_no is not null")
     gone = lives.select(*TABLE, F.col("gone").alias("file_no"), F.col("column_name").alias("old_name")).filter("file_no is not null")
-    pairs = written(came.join(gone, [*TABLE, "file_no"]), "pairs")
+    runs = written(_runs(per_file), "runs")
+    turns = written(runs.filter(F.size("runs") > 1).select(*TABLE, "column_name", "runs").mapInArrow(_turns, _TURNS), "turns")
+    turn = lambda name, at: turns.select(*TABLE, F.col("column_name").alias(name), at)
+    pairs = came.join(gone, [*TABLE, "file_no"])
+    pairs = written(pairs.join(turn("old_name", "since"), [*TABLE, "old_name"], "left").join(turn("new_name", "until"), [*TABLE, "new_name"], "left"), "pairs")
     valued = tagged_cells.filter(F.col("value").isNotNull() & F.col("row_key").isNotNull()).withColumnRenamed("file_no", "at")
     place = F.struct("at", "line_no")
     few = small(pairs, pairs.count(), 256)
 
-    def under(name: str) -> DataFrame:
+    def under(name: str, alike: str) -> DataFrame:
         same = [valued["column_name"] == pairs[name], *[valued[c] == pairs[c] for c in TABLE]]
-        return valued.join(few, same).select(*[valued[c] for c in TABLE], "file_no", "new_name", "old_name", "row_key", "value", "at", "line_no")
+        cell = F.struct("value", F.coalesce(F.expr(alike), F.lit(True)).alias("alike")).alias("cell")
+        return valued.join(few, same).select(*[valued[c] for c in TABLE], "file_no", "new_name", "old_name", "row_key", cell, "at", "line_no")
 
-    old, new = under("old_name"), under("new_name")
+    old, new = under("old_name", "at >= since"), under("new_name", "at < until")
     pair = [*TABLE, "file_no", "new_name", "old_name"]
-    last = old.groupBy(*pair, "row_key").agg(F.max_by("value", place).alias("was"))
-    first = new.groupBy(*pair, "row_key").agg(F.min_by("value", place).alias("now"))
+    last = old.groupBy(*pair, "row_key").agg(F.max_by("cell", place).alias("was"))
+    first = new.groupBy(*pair, "row_key").agg(F.min_by("cell", place).alias("now"))
+    same, alike = F.col("was.value") == F.col("now.value"), F.col("was.alike") & F.col("now.alike")
     kept = last.join(first, [*pair, "row_key"]).groupBy(*pair).agg(
-        F.sum(F.when(F.col("was") == F.col("now"), 1).otherwise(0)).alias("kept"), F.count(F.lit(1)).alias("both")
+        F.count_if(same).alias("kept"), F.count(F.lit(1)).alias("both"), F.count_if(same & alike).alias("kept_alike"), F.count_if(alike).alias("both_alike")
     )
-    likely = kept.filter(F.col("kept") * 2 > F.col("both")).withColumn("share", F.col("kept") / F.col("both"))
+    likely = kept.filter((F.col("kept") * 2 > F.col("both")) | (F.col("kept_alike") * 2 > F.col("both_alike")))
+    likely = likely.withColumn("share", F.greatest(F.col("kept") / F.col("both"), F.try_divide("kept_alike", "both_alike")))
     candidates = likely.groupBy(*TABLE, "file_no").agg(F.collect_list(F.struct("new_name", "old_name", "kept", "share")).alias("candidates"))
     renamed = written(candidates.mapInArrow(_chosen, _PAIR), "renamed")
 
-    runs = written(_runs(per_file), "runs")
     before = renamed.select(*TABLE, F.col("new_name").alias("column_name"), F.col("old_name").alias("__old"))
     of_old = runs.select(*TABLE, F.col("column_name").alias("__old"), F.col("runs").alias("old_runs"))
     sequences = runs.join(before.join(of_old, [*TABLE, "__old"]), [*TABLE, "column_name"], "left").filter((F.size("runs") > 1) | F.col("old_runs").isNotNull())
